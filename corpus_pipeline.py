@@ -1,8 +1,60 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to encoded ones, in five stages.
 
-STAGES: list = []
+Each stage takes what the one before it left, as a table with the columns of `documents`, and its decisions take effect: rows go, texts
+lose what repeats, rows come as often as the mix takes them. The last stage encodes, and decodes what it encoded.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import bpe_codec, minhash_dedup, quality_rules, source_mix, suffix_dedup
+from quillon.llm.common import documents, stored
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a quality rule go."""
+    return quality_rules.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, by shingles of five words at a similarity of 0.8."""
+    return minhash_dedup.keep(docs, width=5, percent=80)
+
+
+def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that also start earlier are cut out of the texts."""
+    return suffix_dedup.clean(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows come as often as the mix of sources takes them, the last time up to the source's budget."""
+    return source_mix.mixed_rows(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+    return bpe_codec.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", apply_quality_rules),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeated_strings),
+    ("source mix", mix_sources),
+    ("bpe encoding", encode_texts),
+]
+
+#: Neither near-duplicate components, nor repeated byte strings, nor byte-pair encoding can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents; each is written and read again before the next."""
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i}")
+    return docs
