@@ -6,13 +6,13 @@ in all of them is a slice of a table. Bands of coordinates are hashed; documents
 
 1. Documents with equal sets form a class, of which the smallest doc_id stands for all.
 2. In each band bucket, every class is paired with the smallest one. Full sets decide whether a pair is linked.
-3. Linked classes are joined to components. Buckets that still hold several components are searched inside: members of different
-   components are compared by their signatures, in blocks, and those that may reach the similarity go to the full sets again. First
-   only the best few for each member and component, since links make most of the others needless, then all that remain.
+3. Linked classes are joined to components. Buckets that still hold several components are searched inside, in blocks, by signatures:
+   where a member may reach the similarity with one of another component, the one of the smaller component visits the larger one. A
+   visitor's full set is held against the sets of all that it visits, until one is near enough; so pairs that fail are never written.
 
-No bucket is capped. What can be missed: a pair that shares no band (chance below 1e-7 at similarity 0.8), or whose 128 coordinates
-agree less than in half of the places (below 1e-11). Sizes of groups matter little: a group of n copies is one class, a group of n
-linked near copies gives n pairs for each band.
+No bucket is capped. What can be missed: a pair that shares no band (chance below 1e-7 at similarity 0.8), or one whose 128 coordinates
+agree in less than 0.63 of the places (below 1e-6 at 0.8). A group of n copies is one class, a group of n near copies of one document
+gives n pairs for each band at most.
 
 Defined results: null text counts as empty; a document without words has an empty set and is alone; one with fewer words than a shingle
 has its whole sequence as its one shingle. Rows with equal doc_id are one document that has the links of all of its rows. A row without
@@ -38,10 +38,10 @@ COORDINATES = BANDS * ROWS
 CIRCLE = 1 << 20
 #: Words whose hashes a worker keeps at most.
 CACHE = 1_000_000
-#: Members of a leader that one task verifies, about; members of a bucket that one task compares.
-GROUP, BLOCK = 1024, 2048
+#: Hosts whose sets one task holds, visitors that it takes, and members of a bucket that one task compares, about.
+HOSTS, VISITORS, BLOCK = 1024, 2048, 2048
 #: Agreeing coordinates below which two signatures aren't those of sets that reach the similarity, as a share of it.
-AGREE = 0.63
+AGREE = 0.79
 
 _state: dict = {}
 
@@ -151,44 +151,71 @@ def _send(width: int):
     return run
 
 
+class _Hosts:
+    """The sets that visitors of one group are held against."""
+
+    def __init__(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.sizes = self.sigs = None
+
+    def near(self, s: np.ndarray, percent: int) -> bool:
+        """Whether a set reaches the similarity with one of these: sizes and signatures say which to count, the likeliest first."""
+        if self.sizes is None:
+            self.sizes = np.array([len(x) for x in self.sets])
+            if len(self.sets) > 4:
+                self.sigs = np.stack([signature(x) for x in self.sets]).astype(np.uint8)
+        may = np.flatnonzero(100 * np.minimum(self.sizes, len(s)) >= percent * np.maximum(self.sizes, len(s)))
+        if self.sigs is not None and len(may):
+            agree = (self.sigs[may] == signature(s).astype(np.uint8)).mean(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            may = may[order[: int((agree >= AGREE * percent / 100).sum())]]
+        for i in may.tolist():
+            small, large = (self.sets[i], s) if len(self.sets[i]) <= len(s) else (s, self.sets[i])
+            if not len(small):
+                continue
+            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if 100 * both >= percent * (len(small) + len(large) - both):
+                return True
+        return False
+
+
 def _confirm(percent: int):
-    """Rows come ordered by group, the leader's first: only its set (or, of a repeated doc_id, its sets) is held."""
+    """Rows come ordered by group, hosts first: only a group's hosts are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, []
+        at, hosts = None, _Hosts()
         for b in batches:
             a, c = [], []
             for g, part, kind, doc, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                s = np.frombuffer(raw, np.uint64)
                 if (g, part) != at:
-                    at, leaders = (g, part), []
+                    at, hosts = (g, part), _Hosts()
                 if kind == 0:
-                    leaders.append(s)
-                    continue
-                for first in leaders:
-                    if 100 * min(len(first), len(s)) < percent * max(len(first), len(s)):
-                        continue
-                    small, large = (first, s) if len(first) <= len(s) else (s, first)
-                    spots = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    both = int((large[spots] == small).sum())
-                    if 100 * both >= percent * (len(first) + len(s) - both) and both:
-                        a.append(g)
-                        c.append(doc)
-                        break
+                    hosts.sets.append(np.frombuffer(raw, np.uint64))
+                elif hosts.near(np.frombuffer(raw, np.uint64), percent):
+                    a.append(g)
+                    c.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     return run
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. The texts of documents in pairs are joined once, their sets sent to the
-    groups of their leaders; a leader with many members has several groups."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("n"))
-    members = pairs.join(groups, "a").select(F.col("b").alias("doc"), F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("n")).alias("part"), F.lit(1).alias("kind"))
-    leaders = groups.select(F.col("a").alias("doc"), F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("part"), F.lit(0).alias("kind"))
-    roles = members.unionByName(leaders).groupBy("doc").agg(F.collect_list(F.struct("g", "part", "kind")).alias("roles"))
+def confirmed(docs: DataFrame, hosts: DataFrame, visits: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b): visitor b of group a is near one of the group's hosts. hosts and visits: g, doc.
+
+    The texts of these documents are joined once, and their sets sent to their groups; groups of many hosts or visitors are several."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    visits, hosts = visits.distinct(), hosts.distinct()
+    size = F.ceil(F.count(F.lit(1)) / F.lit(HOSTS))
+    groups = hosts.groupBy("g").agg(size.alias("h")).join(visits.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITORS)).alias("v")), "g")
+
+    def placed(df: DataFrame, own: str, other: str, kind: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("doc"), F.col(own))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        df = df.join(groups, "g").withColumn("m", mine).withColumn("e", every)
+        part = F.col("m") * F.col("v") + F.col("e") if kind == 0 else F.col("e") * F.col("v") + F.col("m")
+        return df.select("doc", "g", part.alias("part"), F.lit(kind).alias("kind"))
+
+    roles = placed(hosts, "h", "v", 0).unionByName(placed(visits, "v", "h", 1)).groupBy("doc").agg(F.collect_list(F.struct("g", "part", "kind")).alias("roles"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")).join(roles, "doc")
     sent = texts.select("doc", "text", "roles").mapInArrow(_send(width), SETS_DDL)
     return sent.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "kind").mapInArrow(_confirm(percent), "a long, b long").distinct()
@@ -213,49 +240,39 @@ def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _compare(percent: int, best: int):
-    """Pairs of rows of one block pair, from different components, whose sizes and signatures allow the similarity."""
+def _compare(percent: int):
+    """Who visits whom, among the rows of one pair of blocks: members of different components whose sizes and signatures allow the similarity."""
     floor = AGREE * percent / 100
 
     def compare(table):
         side = table.column("side").to_numpy()
-        node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
+        node, comp, size, n = (table.column(c).to_numpy() for c in ("node", "component", "size", "n"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
-        a, b = [], []
-        for i in left.tolist():
+        found = [np.empty((0, 2), np.int64)]
+        for i in np.flatnonzero(side != 1).tolist():
             to = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if not len(to):
-                continue
-            agree = (sig[to] == sig[i]).mean(axis=1)
-            good = agree >= floor
-            to, agree = to[good], agree[good]
-            if best and len(to) > best:
-                order = np.lexsort((node[to], -agree, comp[to]))
-                to = to[order]
-                first = np.concatenate(([True], comp[to][1:] != comp[to][:-1]))
-                start = np.maximum.accumulate(np.where(first, np.arange(len(to)), 0))
-                to = to[np.arange(len(to)) - start < best]
-            a += np.minimum(node[to], node[i]).tolist()
-            b += np.maximum(node[to], node[i]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            to = to[(sig[to] == sig[i]).mean(axis=1) >= floor] if len(to) else to
+            if len(to):
+                goes = (size[i] < size[to]) | ((size[i] == size[to]) & (comp[i] > comp[to]))
+                found.append(np.unique(np.column_stack((np.where(goes, comp[to], comp[i]), np.where(goes, node[i], node[to]))), axis=0))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"g": pa.array(out[:, 0]), "doc": pa.array(out[:, 1])})
 
     return compare
 
 
-def _across(members: DataFrame, labels: DataFrame, percent: int, best: int) -> DataFrame:
-    """Candidate pairs between different components of one bucket. members: band, node, n, sig."""
+def _visits(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """g (a component) and doc (its visitor), from all buckets that hold several components. members: band, node, n, sig."""
+    sizes = labels.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size"))
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")).where("lo < hi")
-    rows = named.join(mixed.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = named.join(mixed.select("band", "blocks"), "band").join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # a block meets itself, and as the left side every later block
     partner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
-    met = rows.withColumn("met", F.explode(partner)).select("band", "met.x", "met.y", "met.side", "node", "component", "n", "sig")
-    return met.groupBy("band", "x", "y").applyInArrow(_compare(percent, best), "a long, b long").distinct()
+    met = rows.withColumn("met", F.explode(partner)).select("band", "met.x", "met.y", "met.side", "node", "component", "size", "n", "sig")
+    return met.groupBy("band", "x", "y").applyInArrow(_compare(percent), "g long, doc long").distinct()
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -270,27 +287,16 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     buckets = stored(banded.join(shared, "band"), "near-buckets")
-    tested = stored(buckets.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = stored(confirmed(docs, tested, width, percent), "near-links")
+    leaders = buckets.select(F.col("leader").alias("g"), F.col("leader").alias("doc"))
+    followers = buckets.where("leader <> node").select(F.col("leader").alias("g"), F.col("node").alias("doc"))
+    links = stored(confirmed(docs, leaders, followers, width, percent), "near-links")
     labels = stored(connected(spark, links), "near-labels")
-    members = buckets.select("band", "node").join(classes.select("node", "n", "sig"), "node")
-    best = 4
-    while True:
-        found = stored(_across(members, labels, percent, best).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if found.isEmpty():
-            if not best:
-                break
-            best = 0
-            continue
-        new = stored(confirmed(docs, found, width, percent), "near-links")
-        tested = tested.union(found)
-        if new.isEmpty():
-            if not best:
-                break
-            best = 0
-            continue
-        links = links.union(new)
-        labels = stored(connected(spark, links), "near-labels")
+    visits = stored(_visits(buckets.select("band", "node").join(classes.select("node", "n", "sig"), "node"), labels, percent), "near-visits")
+    if not visits.isEmpty():
+        everyone = classes.select("node").join(labels, "node", "left").select(F.coalesce("component", "node").alias("g"), F.col("node").alias("doc"))
+        hosts = everyone.join(visits.select("g").distinct(), "g", "left_semi")
+        more = stored(confirmed(docs, hosts, visits, width, percent), "near-links")
+        labels = stored(connected(spark, links.union(more)), "near-labels")
     placed = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     # a repeated doc_id joins the components of its texts
     whole = sketch.select("doc_id", "n_shingles", "class").join(placed, "class", "left")
