@@ -4,7 +4,7 @@ Every text is encoded whole; a rolling hash over its ids cuts the stream into ch
 they stand. The store has three parts under one folder:
 
 * ``chunks/``: one row for each distinct chunk: digest (BLAKE2b-128 of the ids as little-endian 32-bit integers), n_ids, codec, payload.
-  The payload holds 16-bit ids where the vocabulary allows it, 32-bit ids otherwise, deflated where that is shorter.
+  The payload holds 16-bit ids where the vocabulary allows it, 32-bit ids otherwise, compressed by Zstandard where that is shorter.
 * ``recipes/``: one row for each document in ascending doc_id order, shard by shard: doc_id, n_tokens, the chunk digests in order, and
   the Merkle root over them.
 * ``manifest/``: one row for each shard: n_docs, n_tokens, start (ids of all shards before it), and the Merkle root over the
@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,38 +35,21 @@ from .wordcache import ChunkCache, WordSplitter, chunks_of, load
 #: Chunk sizes in ids: no boundary before MIN_IDS, one every 2**MASK_BITS on average after that, and one at MAX_IDS at the latest.
 MIN_IDS, MASK_BITS, MAX_IDS, WINDOW = 256, 10, 8192, 16
 #: Entries that a worker keeps at most for chunks of text, and for words.
-CACHE = 1_000_000
+CHUNKS, WORDS = 700_000, 500_000
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_powers = np.array([1], np.uint64)
-_inverse = np.array([1], np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 4096)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate(([1], np.full(size, _MULT, np.uint64))).astype(np.uint64), dtype=np.uint64)
-            _inverse = np.cumprod(np.concatenate(([1], np.full(size, pow(_MULT, -1, 1 << 64), np.uint64))).astype(np.uint64), dtype=np.uint64)
-    return _powers[:n], _inverse[:n]
+#: A random 64-bit number for each id, taken modulo the table's size.
+_NUMBERS = np.random.default_rng(3).integers(0, 1 << 63, 1 << 16, np.uint64)
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: positions where a polynomial hash of the last WINDOW ids has MASK_BITS zero bits on top."""
+    """Ends of the chunks of an id stream: positions where a rolling hash of the last WINDOW ids has MASK_BITS zero bits. The hash is the
+    sum of the ids' numbers, so it comes from one running sum."""
     n = len(ids)
     if n <= MIN_IDS:
         return [n] if n else []
-    up, down = _power_tables(n)
-    with np.errstate(over="ignore"):
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        total = np.cumsum(mixed * up, dtype=np.uint64)
-        rolling = total.copy()
-        rolling[WINDOW:] -= total[:-WINDOW]
-        rolling *= down
-        rolling *= np.uint64(0xFF51AFD7ED558CCD)
-    marks = np.flatnonzero(rolling >> np.uint64(64 - MASK_BITS) == 0) + 1
+    total = np.cumsum(_NUMBERS[ids if ids.dtype.itemsize == 2 else ids & 0xFFFF], dtype=np.uint64)
+    total[WINDOW:] -= total[:-WINDOW].copy()
+    marks = np.flatnonzero(total & np.uint64(((1 << MASK_BITS) - 1) << 40) == 0) + 1
     out, start = [], 0
     for m in marks.tolist():
         while m - start > MAX_IDS:
@@ -94,14 +79,17 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+_squeeze, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(ids: np.ndarray, wide: bool) -> tuple[int, bytes]:
     raw = ids.astype("<u4" if wide else "<u2").tobytes()
-    small = zlib.compress(raw, 1)
+    small = _squeeze.compress(raw)
     return (2 * wide + 1, small) if len(small) < len(raw) else (2 * wide, raw)
 
 
 def unpack(codec: int, payload: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(payload) if codec & 1 else payload, "<u4" if codec & 2 else "<u2").astype(np.uint32)
+    return np.frombuffer(_open.decompress(payload) if codec & 1 else payload, "<u4" if codec & 2 else "<u2").astype(np.uint32)
 
 
 class Encoder:
@@ -116,9 +104,9 @@ class Encoder:
         self.splitter = WordSplitter(self.library, split["pattern"]["Regex"], [x["content"] for x in spec["added_tokens"]])
         self.wide = self.library.get_vocab_size(True) > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
-        model = self.library.model
-        self.words = ChunkCache(lambda w: np.array([x.id for x in model.tokenize(w)], self.kind).tobytes(), CACHE)
-        self.chunks = ChunkCache(self._chunk, CACHE)
+        model, letter = self.library.model, "I" if self.wide else "H"
+        self.words = ChunkCache(lambda w: array(letter, [x.id for x in model.tokenize(w)]).tobytes(), WORDS)
+        self.chunks = ChunkCache(self._chunk, CHUNKS)
 
     def _chunk(self, chunk: str) -> bytes:
         words = self.splitter(chunk)

@@ -56,21 +56,29 @@ class WordSplitter:
                 return [chunk[:-1].lower(), chunk[-1]]
         if self.foreign.search(chunk):
             return None
-        found = self.words.findall(chunk.lower())
+        low = chunk.lower()
+        if low.isalpha() and not chunk.isascii():
+            found = [low]
+        elif low[:-1].isalpha() and low[-1] in ",." and not chunk.isascii():
+            found = [low[:-1], low[-1]]
+        else:
+            found = self.words.findall(low)
         return found if chunk.isascii() and chunk.isprintable() else [w.encode().decode("latin-1").translate(self.table) for w in found]
 
 
 class ChunkCache(dict):
-    """chunk -> what `make` gives for it; emptied by `trim` once it holds more than `limit` entries, so memory is bounded."""
+    """key -> what `make` gives for it. Once half of `limit` entries are held, `trim` sets them aside; those that are met again come back,
+    the rest go at the next time. So memory is bounded, and what is frequent stays."""
 
     def __init__(self, make: Callable[[str], object], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.aside = make, limit // 2, {}
 
     def __missing__(self, key: str):
-        value = self[key] = self.make(key)
+        value = self[key] = self.aside[key] if key in self.aside else self.make(key)
         return value
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.aside = dict(self)
             self.clear()
