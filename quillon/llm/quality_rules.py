@@ -88,7 +88,9 @@ def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     # a place adds the words that the place before it has not covered: three at most
     repeat = F.expr("coalesce(aggregate(_places, struct(0L AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n), 0L)")
     stops = F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long")
-    return df.select("doc_id", *[m for m in MEASURES if m != "n_repeat_words"], repeat.alias("n_repeat_words"), "n_lines", stops.alias("n_stop_words"), F.lit(1).cast("long").alias("one"))
+    measures = F.struct(*[m for m in MEASURES if m != "n_repeat_words"], repeat.alias("n_repeat_words"), "n_lines", stops.alias("n_stop_words"), F.lit(1).cast("long").alias("one"))
+    # a generator of one row: filters on measures stay above it, else they would be rewritten in terms of the text, many times over
+    return df.select("doc_id", F.inline(F.array(measures)))
 
 
 def _any(rules: list[Rule]) -> Column:
