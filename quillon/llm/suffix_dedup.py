@@ -120,7 +120,7 @@ def _pack(a: np.ndarray) -> bytes:
             with np.errstate(over="ignore"):
                 column = np.diff(column, prepend=np.int64(0))
         raw = column.view(np.uint8).reshape(len(a), -1)
-        parts.append(np.ascontiguousarray(raw.T if name in ("token", "context") else raw.T).tobytes())
+        parts.append(np.ascontiguousarray(raw.T).tobytes())
     return b"".join(parts)
 
 
@@ -332,7 +332,7 @@ class Fetch:
         if not len(mine):
             return []
         to = np.searchsorted(self.splitters, mine["token"], "right").tolist()
-        signed = mine["token"].view(np.int64).tolist() if mine["token"].flags.c_contiguous else np.ascontiguousarray(mine["token"]).view(np.int64).tolist()
+        signed = np.ascontiguousarray(mine["token"]).view(np.int64).tolist()
         lo, n = mine["lo"].tolist(), mine["n"].tolist()
         return [(t, k, mine[i : i + 1].tobytes(), data[lo[i] : lo[i] + n[i] + WINDOW - 1]) for i, (t, k) in enumerate(zip(to, signed, strict=True))]
 
@@ -407,7 +407,9 @@ def _sort_contested(parts: int, salts: int) -> Callable:
     def close(held: list[tuple[bytes, bytes]], salt: int) -> Iterator[pa.RecordBatch]:
         if held:
             runs = np.frombuffer(b"".join(r for r, _ in held), RUN)
-            spans = joined_spans(contested_spans(runs, [c for _, c in held], range(PLACES) if salt < 0 else range(salt, PLACES, salts)))
+            # a repeated row has sent its runs again
+            _, once = np.unique(runs[["token", "doc", "tie", "lo"]], return_index=True)
+            spans = joined_spans(contested_spans(runs[once], [held[i][1] for i in once], range(PLACES) if salt < 0 else range(salt, PLACES, salts)))
             for b in _parcels(_SPANS, spans, _target(spans, parts)):
                 yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2)], schema=REQUESTS)
 
