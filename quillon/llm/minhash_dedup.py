@@ -5,14 +5,14 @@ second one, shifted by k places, gives coordinate k of the signature. So two per
 in all of them is a slice of a table. Bands of coordinates are hashed; documents that share a band are candidates.
 
 1. Documents with equal sets form a class, of which the smallest doc_id stands for all.
-2. In each band bucket, every class is paired with the smallest one. Full sets decide whether a pair is linked.
+2. In each band bucket, every class is paired with the smallest and the largest one. Full sets decide whether a pair is linked.
 3. Linked classes are joined to components. Buckets that still hold several components are searched inside, in blocks, by signatures:
    where a member may reach the similarity with one of another component, the one of the smaller component visits the larger one. A
    visitor's full set is held against the sets of all that it visits, until one is near enough; so pairs that fail are never written.
 
 No bucket is capped. What can be missed: a pair that shares no band (chance below 1e-7 at similarity 0.8), or one whose 128 coordinates
 agree in less than 0.63 of the places (below 1e-6 at 0.8). A group of n copies is one class, a group of n near copies of one document
-gives n pairs for each band at most.
+gives 2 n pairs for each band at most.
 
 Defined results: null text counts as empty; a document without words has an empty set and is alone; one with fewer words than a shingle
 has its whole sequence as its one shingle. Rows with equal doc_id are one document that has the links of all of its rows. A row without
@@ -285,11 +285,16 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         sketch.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes"
     )
     banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     buckets = stored(banded.join(shared, "band"), "near-buckets")
-    leaders = buckets.select(F.col("leader").alias("g"), F.col("leader").alias("doc"))
-    followers = buckets.where("leader <> node").select(F.col("leader").alias("g"), F.col("node").alias("doc"))
-    links = stored(confirmed(docs, leaders, followers, width, percent), "near-links")
+    stars = [buckets.select(F.col(lead).alias("g"), "node") for lead in ("leader", "other")]
+    pairs = stored(stars[0].union(stars[1]).where("g <> node").distinct(), "near-pairs")
+    leaders, followers = pairs.select("g", F.col("g").alias("doc")), pairs.select("g", F.col("node").alias("doc"))
+    # a doc_id with several texts links their classes
+    told = sketch.where("class IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "class", F.xxhash64("class").alias("h"))
+    several = told.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("doc_id")
+    own = told.join(several, "doc_id").join(classes.select("class", "node"), "class").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = stored(confirmed(docs, leaders, followers, width, percent).union(own), "near-links")
     labels = stored(connected(spark, links), "near-labels")
     visits = stored(_visits(buckets.select("band", "node").join(classes.select("node", "n", "sig"), "node"), labels, percent), "near-visits")
     if not visits.isEmpty():
@@ -298,7 +303,6 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         more = stored(confirmed(docs, hosts, visits, width, percent), "near-links")
         labels = stored(connected(spark, links.union(more)), "near-labels")
     placed = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    # a repeated doc_id joins the components of its texts
     whole = sketch.select("doc_id", "n_shingles", "class").join(placed, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -300,6 +300,12 @@ def test_minhash_finds_chains_and_large_groups(spark, monkeypatch, small):
     assert got == comp and len(set(comp.values())) < 90
 
 
+def test_one_doc_id_of_two_texts_links_them(spark):
+    rows = [(1, "a b c d"), (2, "e f g h"), (7, "a b c d"), (7, "E f g h"), (9, None)]
+    got = sorted_rows(minhash_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 2).select("doc_id", "component_id"))
+    assert got == [(1, 1), (2, 1), (7, 1), (7, 1), (9, 9)]
+
+
 def test_site_quality(spark, docs, rows, empty):
     data = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
