@@ -99,9 +99,9 @@ def test_source_mix(docs, empty):
     got = source_mix.mix(docs).toPandas()
     assert (got.taken <= 3 * got["size"]).all() and (got.taken >= 0).all()
     assert sorted_rows(source_mix.mix(docs)) == sorted_rows(source_mix.mix(docs.repartition(5)))
-    groups = got.groupby("target").agg(taken=("taken", "sum"), size=("source_size", "first"))
-    assert ((groups.taken - groups.index).abs() <= 1).all() and (groups.index <= 3 * groups["size"] + 1e-6).all()
-    assert abs(groups.index.to_series().sum() - got["size"].sum()) < 1e-6 * got["size"].sum()
+    groups = got.groupby(["source_size", "target"], as_index=False).agg(taken=("taken", "sum"))
+    assert len(groups) == 4 and ((groups.taken - groups.target).abs() <= 1).all() and (groups.target <= 3 * groups.source_size + 1e-6).all()
+    assert abs(groups.target.sum() - got["size"].sum()) < 1e-6 * got["size"].sum()
     mixed = source_mix.mixed_rows(docs)
     assert mixed.schema == docs.schema
     assert mixed.agg(F.sum(source_mix.word_count(F.coalesce("text", F.lit(""))))).first()[0] == got.taken.sum()
@@ -253,7 +253,7 @@ def test_suffix_dedup_of_shared_passages(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = list(enumerate(texts))
     got = sorted_rows(suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got == sorted((d, n, gone, spans, brute.sha(kept)) for d, n, gone, spans, kept in brute.removals(rows))
+    assert got == sorted(((d, n, gone, spans, brute.sha(kept)) for d, n, gone, spans, kept in brute.removals(rows)), key=repr)
     assert sum(g[2] for g in got) > 0
 
 
