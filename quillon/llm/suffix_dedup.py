@@ -16,8 +16,8 @@ another and have the same leader form a run; the bytes of a run's windows are it
 
 Texts are moved twice, compressed: once to fetch contexts, once to cut.
 
-Defined results: null text counts as empty. Order is by doc_id, null last, then by a hash of the text. Rows with equal doc_id and equal
-text are one document and get equal results. Texts shorter than WINDOW keep all bytes. Extra columns are ignored by `removals` and kept by `clean`.
+Defined results: null text counts as empty. Order is by doc_id, null last, then by a 64-bit hash of the text. Rows with equal doc_id
+and equal hash of the text are one document and get equal results: m texts of one doc_id, or without one, clash with a chance of m*m/2^65. Texts shorter than WINDOW keep all bytes. Extra columns are ignored by `removals` and kept by `clean`.
 Tokens and contexts are equal if their 64 and 48 bits of hash are; windows of contested runs are compared byte by byte.
 """
 
@@ -43,8 +43,8 @@ SAMPLE, BUCKETS, HOT = 2000, 4, 200_000
 _NULL = np.iinfo(np.int64).max
 _SEGMENT = 1 << 24  # places in a packed word have 24 bits
 
-RUN = np.dtype([("token", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tie", "<u2"), ("lo", "<u4"), ("off", "u1"), ("n", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("tie", "<u2"), ("lo", "<u4"), ("n", "<u4")])
+RUN = np.dtype([("token", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("lo", "<u4"), ("off", "u1"), ("n", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("tie", "<u8"), ("lo", "<u4"), ("n", "<u4")])
 
 _rng = np.random.default_rng(7)
 _BYTES = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,7 +99,8 @@ def runs_of(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def tie_of(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) & 0xFFFF
+    """Tells apart the texts of one doc_id, or of none."""
+    return xxhash.xxh3_64_intdigest(data)
 
 
 def document_runs(doc: int | None, data: bytes) -> np.ndarray:

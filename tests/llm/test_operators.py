@@ -257,6 +257,16 @@ def test_suffix_dedup_of_shared_passages(spark, hot, monkeypatch):
     assert sum(g[2] for g in got) > 0
 
 
+def test_suffix_dedup_tells_many_texts_of_one_id_apart(spark):
+    rng = random.Random(8)
+    passages = [prose(rng, 40) for _ in range(30)]
+    texts = {prose(rng, rng.choice([3, 20])) + rng.choice(passages) * (i % 2) + f" {i} " + prose(rng, 20) for i in range(4000)}
+    ordered = sorted(texts, key=lambda t: suffix_dedup.tie_of(t.encode()))
+    rows = [(5 if i % 4 == 0 else None, t) for i, t in enumerate(ordered)]
+    want = [(d, n, gone, spans, brute.sha(kept)) for d, n, gone, spans, kept in brute.removals(rows)]
+    assert sorted_rows(suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == sorted(want, key=repr)
+
+
 def test_long_texts_are_taken_in_segments(monkeypatch):
     rng = random.Random(2)
     data = (prose(rng, 3000) + "z" * 400 + prose(rng, 10)).encode()
