@@ -11,7 +11,7 @@ in all of them is a slice of a table. Bands of coordinates are hashed; documents
    visitor's full set is held against the sets of all that it visits, until one is near enough; so pairs that fail are never written.
 
 No bucket is capped. What can be missed: a pair that shares no band (chance below 1e-7 at similarity 0.8), or one whose 128 coordinates
-agree in less than 0.63 of the places (below 1e-6 at 0.8). A group of n copies is one class, a group of n near copies of one document
+agree in fewer than 65 places (below 1e-12 at 0.8). A group of n copies is one class, a group of n near copies of one document
 gives 2 n pairs for each band at most.
 
 Defined results: null text counts as empty; a document without words has an empty set and is alone; one with fewer words than a shingle
@@ -41,7 +41,7 @@ CACHE = 1_000_000
 #: Hosts whose sets one task holds, visitors that it takes, and members of a bucket that one task compares, about.
 HOSTS, VISITORS, BLOCK = 1024, 2048, 2048
 #: Agreeing coordinates below which two signatures aren't those of sets that reach the similarity, as a share of it.
-AGREE = 0.79
+AGREE = 0.63
 
 _state: dict = {}
 

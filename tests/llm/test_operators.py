@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -310,6 +311,28 @@ def test_minhash_finds_chains_and_large_groups(spark, monkeypatch, small):
     assert got == comp and len(set(comp.values())) < 90
 
 
+def test_minhash_holds_near_sets_of_unlike_signatures_against_each_other():
+    """Sets at a similarity of 0.8 of which 65 to 80 of 128 coordinates agree."""
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 64, 100_000, np.uint64))
+    rng.shuffle(pool)
+    pair = None
+    for i in range(0, 400, 4):
+        few = np.sort(pool[i : i + 4])
+        agree = np.array([(minhash_dedup._table()[int(x) >> 44] > minhash_dedup.signature(few)).sum() for x in pool[400:8400]])
+        at = np.flatnonzero((agree >= 65) & (agree < 81))
+        if len(at):
+            pair = few, np.sort(np.append(few, pool[400 + at[0]]))
+            break
+    sigs = [minhash_dedup.signature(s) for s in pair]
+    assert 65 <= (sigs[0] == sigs[1]).sum() < 81
+    hosts = minhash_dedup._Hosts()
+    hosts.sets += [pair[0], *(np.sort(pool[9000 + 4 * i : 9004 + 4 * i]) for i in range(5))]
+    assert hosts.near(pair[1], 80)
+    table = pa.table({"side": [2, 2], "node": [1, 2], "component": [1, 2], "size": [1, 1], "n": [4, 5], "sig": [s.astype(np.uint8).tobytes() for s in sigs]})
+    assert minhash_dedup._compare(80)(table).to_pylist() == [{"g": 1, "doc": 2}]
+
+
 def test_one_doc_id_of_two_texts_links_them(spark):
     rows = [(1, "a b c d"), (2, "e f g h"), (7, "a b c d"), (7, "E f g h"), (9, None)]
     got = sorted_rows(minhash_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 2).select("doc_id", "component_id"))
