@@ -19,8 +19,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, by shingles of five words at a similarity of 0.8."""
-    return minhash_dedup.keep(docs, width=5, percent=80)
+    """One row of each group of near duplicates stays, by shingles of five words at a similarity of 0.8."""
+    return minhash_dedup.single(docs, width=5, percent=80)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

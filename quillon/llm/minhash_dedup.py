@@ -312,3 +312,13 @@ def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest doc_id."""
     gone = components(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def single(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near texts, with all its columns: the one with the smallest doc_id, null last, then the smallest hash of
+    its text. Rows are numbered, and every row is a document of its own: repeated rows and rows without doc_id take part by their texts."""
+    rows = stored(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-rows")
+    groups = components(rows.select(F.col("_near_row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("_near_row"), "component_id")
+    ranks = rows.select("_near_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("_near_row").alias("row")).alias("rank"))
+    stays = groups.join(ranks, "_near_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_near_row"))
+    return rows.join(stays, "_near_row", "left_semi").drop("_near_row").select(*docs.columns)

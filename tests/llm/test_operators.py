@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quillon.llm import bpe_codec, minhash_dedup, quality_rules, rp_forest, site_quality, source_mix, suffix_dedup, token_count, token_store, url_filter
 
 from . import brute
@@ -339,6 +340,15 @@ def test_one_doc_id_of_two_texts_links_them(spark):
     assert got == [(1, 1), (2, 1), (7, 1), (7, 1), (9, 9)]
 
 
+def test_near_dedup_stage_leaves_one_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (4, text), (4, text + " x"), (3, "other words " + text[::-1]), (None, "a b"), (None, "a b"), (5, "c d"), (5, "c d"), (5, "e f"), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted_rows(corpus_pipeline.drop_near_duplicates(spark, docs, ""))
+    assert len([r for r in left if r[0] == 4 and r[1].startswith(text)]) == 1
+    assert [r for r in left if r[0] != 4] == sorted([(3, rows[4][1]), (None, "a b"), (5, "c d"), (5, "e f"), (6, None), (7, "")], key=repr)
+
+
 def test_site_quality(spark, docs, rows, empty):
     data = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
