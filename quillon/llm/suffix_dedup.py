@@ -18,7 +18,8 @@ Texts are moved twice, compressed: once to fetch contexts, once to cut.
 
 Defined results: null text counts as empty. Order is by doc_id, null last, then by a 64-bit hash of the text. Rows with equal doc_id
 and equal hash of the text are one document and get equal results: m texts of one doc_id, or without one, clash with a chance of m*m/2^65. Texts shorter than WINDOW keep all bytes. Extra columns are ignored by `removals` and kept by `clean`.
-Tokens and contexts are equal if their 64 and 48 bits of hash are; windows of contested runs are compared byte by byte.
+Tokens and contexts are equal if their 64 bits of hash are: m contexts of one token clash with a chance of m*m/2^65. Windows of contested
+runs are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def runs_of(data: bytes) -> tuple[np.ndarray, ...]:
         place = leader[lo]
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES2[raw] * up[:-1], dtype=np.uint64)))
         context = (total[lo + n - 1 + WINDOW] - total[lo]) * down[lo]
-        context = _mixed(context + (n * 256 + place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+        context = _mixed(context + (n * 256 + place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return token[place], context, lo, place - lo, n
 
 

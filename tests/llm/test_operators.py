@@ -269,6 +269,11 @@ def test_suffix_dedup_tells_many_texts_of_one_id_apart(spark):
     assert sorted_rows(suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == sorted(want, key=repr)
 
 
+def test_contexts_have_all_bits_of_their_hash():
+    context = suffix_dedup.runs_of(prose(random.Random(5), 3000).encode())[1]
+    assert len(context) > 200 and int(context.max()) >> 63 and np.bitwise_or.reduce(context) == np.uint64(2**64 - 1)
+
+
 def test_long_texts_are_taken_in_segments(monkeypatch):
     rng = random.Random(2)
     data = (prose(rng, 3000) + "z" * 400 + prose(rng, 10)).encode()
