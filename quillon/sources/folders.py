@@ -6,7 +6,20 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from ..errors import EngineError
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only where everything runs in one process, on one machine,
+    does a temporary folder stand in for it; on a cluster each executor would write to a disk of its own, and rows would go missing."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise EngineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.gettempdir()
+
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/") + "/quillon"
+    return shared_base(spark) + "/quillon"
