@@ -8,16 +8,20 @@ from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .engine import Engine, Transaction
+from .engine import Engine, Session
 from .errors import EngineError
-from .plans import sql
 from .plans.lexer import statements
 from .types import kind_of, type_name
 
 
+#: Rows that the prompt shows at most.
+SHOWN = 10_000
+
+
 def formatted(df: DataFrame) -> str:
-    """All rows as an aligned table, numbers to the right, and their count."""
-    rows = [[str(v).lower() if isinstance(v, bool) else str(v) for v in r] for r in df.collect()]
+    """Rows as an aligned table, numbers to the right, and their count. Of more than SHOWN rows it says that there are more."""
+    found = df.limit(SHOWN + 1).collect()
+    rows = [[str(v).lower() if isinstance(v, bool) else str(v) for v in r] for r in found[:SHOWN]]
     widths = [max(map(len, [name, *(r[i] for r in rows)])) for i, name in enumerate(df.columns)]
     right = [kind_of(f.dataType) in ("int", "long") for f in df.schema]
 
@@ -25,13 +29,13 @@ def formatted(df: DataFrame) -> str:
         return "|".join(f" {c.rjust(w) if r else c.ljust(w)} " for c, w, r in zip(cells, widths, right, strict=True)).rstrip()
 
     rule = "+".join("-" * (w + 2) for w in widths)
-    return "\n".join([line(df.columns), rule, *map(line, rows), f"({len(rows)} row{'s' * (len(rows) != 1)})"])
+    count = f"({len(rows)} row{'s' * (len(rows) != 1)})" if len(found) <= SHOWN else f"(the first {SHOWN} rows; there are more)"
+    return "\n".join([line(df.columns), rule, *map(line, rows), count])
 
 
 class Prompt:
     def __init__(self, engine: Engine, out: TextIO):
-        self.engine, self.out = engine, out
-        self.open: Transaction | None = None
+        self.engine, self.out, self.session = engine, out, Session(engine)
 
     def say(self, text: str) -> None:
         print(text, file=self.out)
@@ -49,18 +53,8 @@ class Prompt:
             self.say(f"unknown command {words[0]}")
 
     def statement(self, text: str) -> None:
-        s = sql.parse(text)
-        if isinstance(s, sql.Begin):
-            if self.open:
-                raise EngineError("a transaction is open already")
-            self.open = self.engine.begin()
-        elif isinstance(s, sql.Commit | sql.Rollback | sql.Savepoint | sql.Release) and not self.open:
-            raise EngineError("no transaction is open")
-        else:
-            found = (self.open or self.engine).sql(text)
-            if self.open and self.open.status != "RUNNING":
-                self.open = None
-            self.say(formatted(found) if isinstance(found, DataFrame) else found if found is not None else type(s).__name__.upper())
+        found = self.session.statement(text)
+        self.say(formatted(found) if isinstance(found, DataFrame) else found if found is not None else text.split()[0].upper())
 
     def run(self, lines: Iterable[str]) -> None:
         held = ""
@@ -79,8 +73,7 @@ class Prompt:
             except EngineError as e:
                 held = ""
                 self.say(f"error: {e}")
-        if self.open:
-            self.open.rollback()
+        self.session.close()
 
 
 def main() -> None:
