@@ -2,7 +2,8 @@
 
 All strategies give the same bag of rows: left columns, then right ones, both keys kept. They differ in how Spark is asked to run them.
 A nested loop is run as a broadcast join while the right side's size, as Spark estimates it, stays under a bound, and as a sort-merge
-join beyond it: no strategy here multiplies the sides or sends one that has no bound.
+join beyond it: no strategy here multiplies the sides or sends one that has no bound. A hash join, whose tables are held in memory and
+cannot spill, is run as such while a partition of the right side stays under a bound, and as a sort-merge join beyond it.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 
-#: strategy: Spark's hint. Nested loops are broadcast under BROADCAST_BYTES.
+#: strategy: Spark's hint. Nested loops are broadcast under BROADCAST_BYTES; hash tables are built under HASH_BYTES for each partition.
 HINTS = {"snlj": "broadcast", "pnlj": "broadcast", "bnlj": "broadcast", "sortmerge": "merge", "shj": "shuffle_hash", "ghj": "shuffle_hash"}
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES, HASH_BYTES = 64 << 20, 128 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -27,7 +28,9 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         if strategy.lower() not in HINTS:
             raise EngineError(f"unknown join strategy {strategy}")
         hint = HINTS[strategy.lower()]
-        if hint == "broadcast" and estimated_bytes(right) > BROADCAST_BYTES:
+        parts = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = {"broadcast": BROADCAST_BYTES, "shuffle_hash": HASH_BYTES * parts}.get(hint)
+        if most is not None and estimated_bytes(right) > most:
             hint = "merge"
         right = right.hint(hint)
     return left.join(right, F.col(f"`{left_key}`") == F.col(f"`{right_key}`"), "inner")

@@ -1,7 +1,8 @@
 """The query builder: one SELECT block, lowered to DataFrame operations.
 
-The order is joins, where, group by, project, sort, limit, however the calls came. Nothing runs until the DataFrame does, and all
-optimization is Catalyst's: filters reach the scans, columns are pruned, joins are planned by size.
+The order is joins, where, group by, project, sort, limit, however the calls came. Nothing runs until the DataFrame does. Where tables have
+statistics, the planner beside this module orders the joins and picks indices; the rest is Catalyst's: filters reach the scans, columns are
+pruned, joins are run by size.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from ..errors import EngineError, ResolutionError
 from ..functions import aggregates
 from ..functions.expressions import Binary, Call, Expr, Literal, Name, Scope, Star, Typed, aggregated, calls, compare, free_names, lower, parse_expr, truth
-from ..operators import joins, ordering
+from ..operators import joins, ordering, scans
+from ..stats import TableStats
 from ..types import kind_of
+from . import planner
 
 
 @dataclass
@@ -36,7 +39,8 @@ class Output:
 
 @dataclass
 class QueryPlan:
-    """`tables` gives a table's DataFrame by name. Methods return the plan, so calls chain.
+    """`tables` gives a table's DataFrame by name, `stats` its statistics or None, `indices` the lower-case names of its indexed columns.
+    Methods return the plan, so calls chain.
 
     `order` names the column that FIRST, LAST and the rows of GROUP BY without aggregates go by; without it, the order of the scan.
     `empty_aggregate`: "row" gives one row for a global aggregate over nothing, "none" gives no row."""
@@ -52,6 +56,8 @@ class QueryPlan:
     order: str | None = None
     empty_aggregate: str = "row"
     seed: int | None = None
+    stats: Callable[[str], TableStats | None] | None = None
+    indices: Callable[[str], set[str] | None] | None = None
 
     # building
 
@@ -112,23 +118,33 @@ class QueryPlan:
 
     # lowering
 
-    def _scan(self, s: Joined) -> tuple[DataFrame, list[tuple[str | None, str, str, str]]]:
+    def _scan(self, s: Joined, index: tuple[str, str, object] | None = None) -> tuple[DataFrame, list[tuple[str | None, str, str, str]]]:
         df = self.tables(s.table)
+        if index:
+            df = scans.predicate(df, *index)
         inner = [f"{s.alias}.{c}" for c in df.columns]
         return df.toDF(*inner), [(s.alias, c, n, kind_of(f.dataType)) for c, n, f in zip(df.columns, inner, df.schema.fields, strict=True)]
 
     def _from(self) -> tuple[DataFrame, Scope]:
         if not self.sources:
             raise EngineError("a plan needs a table")
-        df, columns = self._scan(self.sources[0])
-        for s in self.sources[1:]:
-            right, more = self._scan(s)
+        found = planner.planned(self)
+        sources = found.sources if found else self.sources
+
+        def scan(s: Joined) -> tuple[DataFrame, list[tuple[str | None, str, str, str]]]:
+            return self._scan(s, found.access[s.alias].index if found else None)
+
+        df, columns = scan(sources[0])
+        for s in sources[1:]:
+            right, more = scan(s)
             left_key, left_kind = Scope(columns).find(s.left)
             right_key, right_kind = Scope(more).find(s.right)
             compare("=", (F.lit(None), left_kind), (F.lit(None), right_kind))
             df = joins.equi_join(df, right, left_key, right_key, s.strategy)
             columns = columns + more
-        return df, Scope(columns)
+        # names resolve, and stars expand, in the order that was written
+        written = [s.alias for s in self.sources]
+        return df, Scope(sorted(columns, key=lambda c: written.index(c[0])))
 
     def _expanded(self, scope: Scope) -> list[Output]:
         """Outputs with stars replaced by columns. `*` names columns by their table if there are several tables, `t.*` always."""
