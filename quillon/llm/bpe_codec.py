@@ -5,26 +5,31 @@ word has one last token: the one that some suffix match of the vocabulary offers
 stands before it. An Aho-Corasick automaton lists the suffix matches; two tokens are compatible if no merge would ever have crossed
 the border between them. The last tokens form back-pointers, and following them from the whole word emits the ids. Nothing is merged.
 
-Defined results: null text counts as empty and gives no ids; decoding no ids gives an empty string. Rows are independent: repeated
-rows, null or repeated doc_ids and extra columns change nothing. Special strings inside a text become their ids, as in the library.
+Pieces that a worker has met are kept in a table of a fixed size; a text's ids are those of its pieces. Decoding takes ids alone.
+
+Defined results: null text counts as empty and gives no ids; decoding no ids gives an empty string; an empty table gives none. Rows are
+independent: repeated rows, null or repeated doc_ids and extra columns change nothing. Special strings inside a text become their ids, as
+in the library. A text is encoded whole, however long: a worker then holds some twenty times its bytes for a moment, and a word without
+end takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_of
-from .wordcache import ChunkCache, WordSplitter, chunks_of, load
+from .wordcache import BoundedCache, TextEncoder, held, slices
 
-#: Entries that a worker keeps at most: results of chunks, of words, and of compatibility tests.
-CHUNKS, WORDS, PAIRS = 400_000, 600_000, 4_000_000
+#: Bytes that a worker's table of compatibility tests takes, about.
+PAIRS = 32 << 20
 _END = "\x00"
 
 
@@ -44,7 +49,7 @@ class Vocabulary:
             self.rank[left, right] = r
             self.made[whole] = (r, left, right)
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.compatible = ChunkCache(self._compatible, PAIRS)
+        self.compatible = BoundedCache(self._compatible, PAIRS)
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
             if self._stands(i):
@@ -115,81 +120,87 @@ class Vocabulary:
                 raise ValueError("the vocabulary lacks a symbol of this word")
             token, at = last[at]
             out.append(token)
-        compatible.trim()
         return out[::-1]
 
 
-class Codec:
+class Codec(TextEncoder):
     """encode and decode of whole texts for a vocabulary file of the tokenizers library that drops white space between words.
 
-    The library is used for normalizing and splitting chunks with characters beyond the checked range, never for encoding."""
+    The library is used for normalizing and splitting pieces with characters beyond the checked range, never for encoding."""
 
     def __init__(self, path: str):
-        self.library = load(path)
-        spec = json.loads(self.library.to_str())
-        if spec.get("decoder") is not None or spec.get("post_processor") is not None:
+        super().__init__(path)
+        if self.spec.get("decoder") is not None or self.spec.get("post_processor") is not None:
             raise ValueError("this codec decodes by joining tokens with a space, and adds none")
-        self.vocabulary = Vocabulary(spec["model"])
-        split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.splitter = WordSplitter(self.library, split["pattern"]["Regex"], list(self.specials))
-        self.tokens = {i: t for t, i in {**self.vocabulary.ids, **self.specials}.items()}
-        self.words = ChunkCache(self.vocabulary.encode, WORDS)
-        self.chunks = ChunkCache(self._chunk, CHUNKS)
-
-    def _pieces(self, chunk: str) -> list[str]:
-        """A chunk split at special strings, the leftmost first, the longest of those at one place."""
+        self.vocabulary = Vocabulary(self.spec["model"])
+        tokens = {i: t for t, i in {**self.vocabulary.ids, **self.specials}.items()}
+        every = range(max(tokens) + 1)
+        self.known = np.array([i in tokens for i in every])
+        self.tokens = pa.array([tokens.get(i, "") for i in every], pa.string())
+        self.decimals = pa.array(map(str, every), pa.string())
+
+    def ids_of_word(self, word: str) -> list[int]:
+        return self.vocabulary.encode(word)
+
+    def _parts(self, piece: str) -> list[str]:
+        """A piece split at special strings, the leftmost first, the longest of those at one place."""
         for s in sorted(self.specials, key=len, reverse=True):
-            if s in chunk:
-                a, _, b = chunk.partition(s)
-                return [*self._pieces(a), s, *self._pieces(b)]
-        return [chunk] if chunk else []
-
-    def ids_of_chunk(self, chunk: str) -> list[int]:
-        words = self.splitter(chunk)
-        if words is None:
-            out: list[int] = []
-            for piece in self._pieces(chunk):
-                if piece in self.specials:
-                    out.append(self.specials[piece])
-                else:
-                    for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece)):
-                        out += self.words[word]
-            return out
-        return [i for w in words for i in self.words[w]]
-
-    def _chunk(self, chunk: str) -> tuple[int, str, str] | None:
-        ids = self.ids_of_chunk(chunk)
-        return (len(ids), " ".join(map(str, ids)), self.decode(ids)) if ids else None
-
-    def encode(self, text: str) -> list[int]:
-        return [i for c in chunks_of(text) for i in self.ids_of_chunk(c)]
+            if s in piece:
+                a, _, b = piece.partition(s)
+                return [*self._parts(a), s, *self._parts(b)]
+        return [piece] if piece else []
+
+    def foreign_piece(self, piece: str) -> list[int]:
+        out: list[int] = []
+        for part in self._parts(piece):
+            if part in self.specials:
+                out.append(self.specials[part])
+            else:
+                for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                    out += self.words[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens of the ids, joined by a space; ids outside the vocabulary are passed over, as the library does."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids if i in tokens])
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The tokens of each row's ids, joined by a space; ids outside the vocabulary are passed over, as the library does."""
+        known = (ids >= 0) & (ids < len(self.known))
+        known[known] = self.known[ids[known]]
+        if not known.all():
+            ends, ids = np.concatenate(([0], np.cumsum(known)))[ends], ids[known]
+        return _joined(self.tokens, ids, ends)
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray) -> tuple[list[str], list[str]]:
+        """SHA-256 of each row's decimal ids, and of the text decoded from them."""
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """n_tokens and the SHA-256 of the decimal ids and of the decoded text. Both join by a space, so the parts of chunks join too."""
-        parts = [p for p in map(self.chunks.__getitem__, chunks_of(text)) if p]
-        self.chunks.trim()
-        self.words.trim()
-        n, ids, decoded = zip(*parts, strict=True) if parts else ((), (), ())
-        return sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(decoded).encode()).hexdigest()
+        def sha(texts: pa.Array) -> list[str]:
+            return [hashlib.sha256(x.as_buffer()).hexdigest() for x in texts]
 
+        return sha(_joined(self.decimals, ids, ends)), sha(self.decode_all(ids, ends))
 
-_codecs: dict[str, Codec] = {}
+
+def _joined(names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each row's names, joined by a space."""
+    found = names.take(pa.array(ids))
+    if found.nbytes + len(found) < 1 << 31:
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), found)
+        return pc.binary_join(lists, " ")
+    # a single text of hundreds of megabytes: Arrow's plain strings end at two gigabytes
+    starts = np.concatenate(([0], ends[:-1])).tolist()
+    return pa.array([" ".join(found.slice(a, b - a).to_pylist()) for a, b in zip(starts, ends.tolist(), strict=True)], pa.large_string())
 
 
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held(("bpe_codec", path), lambda: Codec(path))
+
+
+def id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_column: str = "text", into: str = "ids") -> DataFrame:
-    """All columns, and the ids of each text as array<int> in `into` (which replaces a column of that name)."""
+    """All columns, and the ids of each text as array<int> in `into` (which replaces a column of that name); no shuffle."""
     ship(docs.sparkSession)
     keep = docs.drop(into)
     ddl = keep.withColumn(into, F.lit(None).cast("array<int>")).schema
@@ -198,8 +209,11 @@ def encode(docs: DataFrame, tokenizer_path: str, text_column: str = "text", into
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for b in batches:
-            ids = [c.encode(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, into])
+            texts = pc.fill_null(b.column(at), "")
+            for part in slices(pa.RecordBatch.from_arrays([texts, pa.array(range(b.num_rows))], ["text", "row"]), 0):
+                ids = id_lists(*c.encode_all(part.column(0)))
+                rows = b.slice(part.column(1)[0].as_py(), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids], [*b.schema.names, into])
 
     return keep.mapInArrow(run, ddl)
 
@@ -214,24 +228,39 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_column: str = "ids", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for b in batches:
-            texts = [c.decode(i or []) for i in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
+            sizes = pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(b.column(at).flatten(), -1).to_numpy(zero_copy_only=False)
+            texts = c.decode_all(ids, np.cumsum(sizes))
+            yield pa.RecordBatch.from_arrays([*b.columns, texts.cast(pa.string())], [*b.schema.names, into])
 
     return keep.mapInArrow(run, ddl)
 
 
-DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+CODED = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encode and decode in one pass, without a shuffle."""
+def _coded(docs: DataFrame, tokenizer_path: str, with_ids: bool) -> DataFrame:
     ship(docs.sparkSession)
+    names = CODED if with_ids else CODED[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for b in batches:
-            rows = [c.digest(t) for t in b.column(1).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, f.type) for x, f in zip(columns, list(DIGESTS)[1:], strict=True))], schema=DIGESTS)
+            for part in slices(b, 1):
+                ids, ends = c.encode_all(part.column(1))
+                coded, decoded = c.digests(ids, ends)
+                columns = [part.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *([id_lists(ids, ends)] if with_ids else [])], names)
+
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, ddl)
+
+
+def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encode, and decode from the ids, in one pass without a shuffle."""
+    return _coded(docs, tokenizer_path, False)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encoded_corpus(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """What `encode_digests` gives, and the ids themselves."""
+    return _coded(docs, tokenizer_path, True)

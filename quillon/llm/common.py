@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import Files
+from ..sources.folders import shared_base
+
 #: The bytes that separate words, and words as everything between them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,7 +29,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="quillon-")) / "quillon_src.zip"
+    folder = tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "quillon_src.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -34,19 +40,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "quillon-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = shared_folder(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `stored` wrote for these frames. Nothing that is still to be computed may read them; other frames are passed over."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            Files(df.sparkSession).delete(path)
 
 
 def text_of(column: str = "text") -> Column:

@@ -4,33 +4,42 @@ The adjacent pair of the lowest rank is merged again and again, the leftmost fir
 the count is the number of initial symbols less the number of merges; no identifier is ever emitted. The work is n log n for a word of
 n bytes, so a word without end is no trouble.
 
-Defined results: null text counts as empty and has no tokens and no bytes. Rows are independent: repeated rows, null or repeated
-doc_ids and extra columns change nothing. A special string inside a text counts as one token, as in the library.
+A batch of texts is cut at its spaces, and a piece is split and counted when it is new to the worker; pieces that it has met are kept in a
+table of a fixed size.
+
+Defined results: null text counts as empty and has no tokens and no bytes; an empty table gives none. Rows are independent: repeated
+rows, null or repeated doc_ids and extra columns change nothing. A special string inside a text counts as one token, as in the library.
+A text is counted whole, however long; a worker then holds some twenty times its bytes for a moment.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_of
-from .wordcache import BYTE_CHARS, ChunkCache, load
+from .wordcache import BYTE_CHARS, SHORT, WORDS, BoundedCache, PieceTable, bytes_of, held, load, pieces, slices
 
-#: Entries that a worker keeps at most for chunks and for words.
-CHUNKS, WORDS = 1_200_000, 1_200_000
 #: Fixed value: the pattern by which this kind of tokenizer splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: White space other than 0x20.
-_OTHER_SPACE = [*"\t\n\v\f\r", "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　"]
+OTHER_SPACE = [*"\t\n\v\f\r", "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　"]
 
 
 _FAR = regex.compile("[^\x00-\u024f]")
+#: Two spaces, or a space beside other white space: there a space may belong to what stands before it.
+_ODD = re.compile(" [ {0}]|[{0}] ".format("".join(OTHER_SPACE)))
+_LEAD = np.zeros(256, bool)
+_LEAD[[9, 10, 11, 12, 13, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bytes with which white space begins
 
 
 class Counter:
@@ -52,9 +61,9 @@ class Counter:
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
-        self.words = ChunkCache(self.count_word, WORDS)
-        self.first = ChunkCache(self._chunk, CHUNKS // 4)
-        self.later = ChunkCache(lambda piece: self._chunk(" " + piece), CHUNKS)
+        self.words = BoundedCache(self.count_word, WORDS)
+        self.short = PieceTable(lambda raw: [self._chunk(raw.decode())], np.dtype(np.int32))
+        self.long = BoundedCache(lambda raw: self._chunk(raw.decode()), WORDS)
 
     def count_word(self, word: str) -> int:
         """Tokens of one word: initial symbols less merges."""
@@ -105,35 +114,46 @@ class Counter:
     def _chunk(self, chunk: str) -> int:
         if _FAR.search(chunk):  # the library's Unicode tables may be of another version
             return sum([self._merged([self.char_ids[c] for c in w]) for w, _ in self.split(chunk)])
-        return sum([self.words[w] for w in self.pattern.findall(chunk)])
-
-    def _part(self, text: str) -> int:
-        """A text without special strings. A space between two other characters always begins a word, so such texts are cut there."""
-        if "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACE):
-            return self._chunk(text)
-        head, *rest = text.split(" ")
-        return self.first[head] + sum(map(self.later.__getitem__, rest))
+        words = self.pattern.findall(chunk)
+        return self.count_word(words[0]) if len(words) == 1 else sum([self.words[w] for w in words])
 
     def __call__(self, text: str) -> int:
+        """A single text, cut at special strings only."""
         total, parts = 0, [text]
         for s in self.specials:
             if s in text:
                 split = [p.split(s) for p in parts]
                 total += sum(len(p) - 1 for p in split)
                 parts = [x for p in split for x in p]
-        total += sum([self._part(p) for p in parts if p])
-        for c in (self.words, self.first, self.later):
-            c.trim()
-        return total
+        return total + sum([self._chunk(p) for p in parts if p])
 
-
-_counters: dict[str, Counter] = {}
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """Counts of texts without nulls. A space between two other characters always begins a word, so texts are cut there; texts with
+        special strings, or with a space beside other white space, are not."""
+        whole = np.zeros(len(texts), bool)
+        for s in self.specials:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        data, ends = bytes_of(texts)
+        beside = np.flatnonzero((data == 32)[:-1] & _LEAD[data[1:]] | _LEAD[data[:-1]] & (data == 32)[1:])
+        last = np.flatnonzero((data[:-1] >= 0x80) & (data[:-1] < 0xC0) & (data[1:] == 32))
+        last = last[(data[last - 1] == 0xC2) | (data[last - 2] >= 0xE1) & (data[last - 2] <= 0xE3)]
+        beside = np.concatenate((beside, last))
+        for i in np.unique(np.searchsorted(ends, beside, "right")).tolist():
+            whole[i] = whole[i] or _ODD.search(texts[i].as_py()) is not None
+        p = pieces(texts, None, True, self.specials, digits_apart=False)
+        n = np.empty(len(p.starts), np.int64)
+        short, long = np.flatnonzero(p.sizes <= SHORT), np.flatnonzero(p.sizes > SHORT)
+        slot = self.short.find(p, short)
+        n[short] = self.short.values[self.short.start[slot]]
+        n[long] = [self.long[raw] for raw in p.at(long)] if len(long) else []
+        counts = np.diff(np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], p.ends))])
+        for i in np.flatnonzero(whole).tolist():
+            counts[i] = self(texts[i].as_py())
+        return counts
 
 
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return held(("token_count", path), lambda: Counter(path))
 
 
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -146,7 +166,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)
         for b in batches:
-            n = [count(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=COUNTS)
+            for part in slices(b, 2):
+                n = count.count_all(part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(n > limit)], schema=COUNTS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

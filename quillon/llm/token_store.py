@@ -3,17 +3,20 @@
 Every text is encoded whole; a rolling hash over its ids cuts the stream into chunks, so equal passages give equal chunks wherever
 they stand. The store has three parts under one folder:
 
-* ``chunks/``: one row for each distinct chunk: digest (BLAKE2b-128 of the ids as little-endian 32-bit integers), n_ids, codec, payload.
-  The payload holds 16-bit ids where the vocabulary allows it, 32-bit ids otherwise, compressed by Zstandard where that is shorter.
+* ``content/kind=chunk/``: one row for each distinct chunk: digest (BLAKE2b-128 of the ids as little-endian 32-bit integers), n_ids,
+  codec, payload. The payload holds 16-bit ids where the vocabulary allows it, 32-bit ids otherwise, compressed by Zstandard where that
+  is shorter.
 * ``recipes/``: one row for each document in ascending doc_id order, shard by shard: doc_id, n_tokens, the chunk digests in order, and
-  the Merkle root over them.
+  the Merkle root over them. A shard is a range of about SHARD documents at most, however many there are.
 * ``manifest/``: one row for each shard: n_docs, n_tokens, start (ids of all shards before it), and the Merkle root over the
   documents' roots, in order.
 
 ``read_back`` takes everything from these files: it recomputes chunk digests, document roots and shard roots, and fails on a mismatch.
 
 Defined results: null text counts as empty; every document ends with the end id, so none is empty; rows with null doc_id come after
-all others; rows with equal doc_id stay separate and are ordered by their content; an empty table gives an empty store. Extra columns are ignored.
+all others; rows with equal doc_id stay separate and are ordered by their content; an empty table gives an empty store. Extra columns are
+ignored. A text is encoded and cut whole, however long: a worker then holds its ids and some twenty times its bytes for a moment, and its
+recipe has a digest for each chunk.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import Files
 from .common import shared_folder, ship, text_of
-from .wordcache import ChunkCache, WordSplitter, chunks_of, load
+from .wordcache import TextEncoder, held, slices
 
 #: Chunk sizes in ids: no boundary before MIN_IDS, one every 2**MASK_BITS on average after that, and one at MAX_IDS at the latest.
 MIN_IDS, MASK_BITS, MAX_IDS, WINDOW = 256, 10, 8192, 16
-#: Entries that a worker keeps at most for chunks of text, and for words.
-CHUNKS, WORDS = 700_000, 500_000
+#: Digests that a task remembers, so as not to send a chunk again; documents of a shard.
+SEEN, SHARD = 200_000, 100_000
 
 #: A random 64-bit number for each id, taken modulo the table's size.
 _NUMBERS = np.random.default_rng(3).integers(0, 1 << 63, 1 << 16, np.uint64)
@@ -92,82 +96,66 @@ def unpack(codec: int, payload: bytes) -> np.ndarray:
     return np.frombuffer(_open.decompress(payload) if codec & 1 else payload, "<u4" if codec & 2 else "<u2").astype(np.uint32)
 
 
-class Encoder:
-    """ids of whole texts, as the tokenizers library gives them without special tokens; the library encodes each word or chunk that is new."""
+class Encoder(TextEncoder):
+    """The library encodes each word, and each piece that is foreign to the splitter."""
 
-    def __init__(self, path: str):
-        import json
+    def ids_of_word(self, word: str) -> list[int]:
+        return [x.id for x in self.library.model.tokenize(word)]
 
-        self.library = load(path)
-        spec = json.loads(self.library.to_str())
-        split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.splitter = WordSplitter(self.library, split["pattern"]["Regex"], [x["content"] for x in spec["added_tokens"]])
-        self.wide = self.library.get_vocab_size(True) > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
-        model, letter = self.library.model, "I" if self.wide else "H"
-        self.words = ChunkCache(lambda w: array(letter, [x.id for x in model.tokenize(w)]).tobytes(), WORDS)
-        self.chunks = ChunkCache(self._chunk, CHUNKS)
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = self.splitter(chunk)
-        if words is None:
-            return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
-
-    def __call__(self, text: str) -> np.ndarray:
-        got = np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks_of(text))), self.kind)
-        self.chunks.trim()
-        self.words.trim()
-        return got
-
-
-_encoders: dict[str, Encoder] = {}
+    def foreign_piece(self, piece: str) -> list[int]:
+        return self.library.encode(piece, add_special_tokens=False).ids
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("token_store", path), lambda: Encoder(path))
 
 
-STAGED = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_ids", pa.int64()), ("digest", pa.binary()), ("digests", pa.list_(pa.binary())), ("codec", pa.int32()), ("payload", pa.binary())])
-STAGED_DDL = "kind string, doc_id long, n_ids long, digest binary, digests array<binary>, codec int, payload binary"
+STAGED = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("salt", pa.int64()), ("n_ids", pa.int64()), ("digest", pa.binary()), ("digests", pa.list_(pa.binary())), ("codec", pa.int32()), ("payload", pa.binary())])
+STAGED_DDL = "kind string, doc_id long, salt long, n_ids long, digest binary, digests array<binary>, codec int, payload binary"
 
 
 def _stage(path: str, end_id: int):
-    """documents -> their recipes, and the chunks that are new within the batch."""
+    """documents -> their recipes, and the chunks that the task has not sent yet, as far back as it remembers. A recipe's salt is its number
+    in the task: it parts equal recipes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        end_of_text = np.array(end_id, encode.kind)
+        seen: set[bytes] = set()
+        salt = 0
         for batch in batches:
-            texts, keys = batch.column(1), batch.column(0).to_pylist()
-            for at in range(0, len(keys), 512):
+            for part in slices(batch, 1):
                 rows: list[tuple] = []
-                seen: set[bytes] = set()
-                for key, text in zip(keys[at : at + 512], texts.slice(at, 512).to_pylist(), strict=True):
-                    ids = np.append(encode(text), np.array(end_id, encode.kind))
+                all_ids, ends = encode.encode_all(part.column(1))
+                at = 0
+                for key, end in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
+                    ids = np.append(all_ids[at:end], end_of_text)
+                    at = end
                     digests, start = [], 0
-                    for end in cut_points(ids):
-                        digests.append(d := digest_of(piece := ids[start:end]))
+                    for cut in cut_points(ids):
+                        digests.append(d := digest_of(piece := ids[start:cut]))
                         if d not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
                             seen.add(d)
-                            rows.append(("chunk", None, end - start, d, None, *pack(piece, encode.wide)))
-                        start = end
-                    rows.append(("recipe", key, len(ids), merkle(digests), digests, None, None))
+                            rows.append(("chunk", None, None, cut - start, d, None, *pack(piece, encode.wide)))
+                        start = cut
+                    rows.append(("recipe", key, salt, len(ids), merkle(digests), digests, None, None))
+                    salt += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STAGED, strict=True)], schema=STAGED)
 
     return run
 
 
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the first row of each digest among chunks; digests of one partition only are held, 16 bytes each."""
-    seen: set[bytes] = set()
+    """Keeps the first of neighbouring chunks with equal digests. Rows come ordered by kind and digest, so nothing is remembered."""
+    last = None
     for batch in batches:
         keep = []
         for kind, d in zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist(), strict=True):
-            keep.append(kind != "chunk" or d not in seen)
+            keep.append(kind != "chunk" or d != last)
             if kind == "chunk":
-                seen.add(d)
+                last = d
         if any(keep):
             yield batch.filter(pa.array(keep))
 
@@ -183,15 +171,19 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     ship(spark)
     parts = _parts(spark)
     staged = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(_stage(tokenizer_path, end_id), STAGED_DDL)
-    # equal chunks meet; recipes, which may repeat a root many times, spread by document
-    staged.repartition(parts, "digest", "doc_id").mapInArrow(_unique, STAGED_DDL).write.partitionBy("kind").parquet(f"{folder}/staged")
-    recipes = _read(spark, f"{folder}/staged", "recipe", "doc_id long, n_ids long, digest binary, digests array<binary>")
-    placed = recipes.select("doc_id", F.col("n_ids").alias("n_tokens"), "digests", F.col("digest").alias("root"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("root")]
-    placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{folder}/recipes")
+    # equal chunks meet; recipes, which may repeat a root many times, spread by document and salt
+    met = staged.repartition(parts, "digest", "doc_id", "salt").sortWithinPartitions("kind", "digest")
+    met.mapInArrow(_unique, STAGED_DDL).write.partitionBy("kind").parquet(f"{folder}/content")
+    recipes = _read(spark, f"{folder}/content", "recipe", "doc_id long, salt long, n_ids long, digest binary, digests array<binary>")
+    placed = recipes.select("doc_id", F.col("n_ids").alias("n_tokens"), "digests", F.col("digest").alias("root"), "salt")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("root"), F.col("salt")]
+    ranges = max(parts, -(-placed.count() // SHARD))
+    ranged = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("salt")
+    ranged.withColumn("shard", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{folder}/recipes")
+    Files(spark).delete(f"{folder}/content/kind=recipe")  # they are in recipes/ now
     shards = recipe_rows(spark, folder).groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     roots = _shard_roots(recipe_rows(spark, folder))
-    # one row for each shard, at most as many as there are shuffle partitions: a single ordered window over them is bounded
+    # one row for each shard, that is for SHARD documents: a single ordered window takes them for 10**12 documents still
     starts = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards.join(roots, "shard").withColumn("start", starts).write.parquet(f"{folder}/manifest")
     return folder
@@ -206,11 +198,11 @@ def recipe_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, f"{folder}/staged", "chunk", "n_ids long, digest binary, codec int, payload binary")
+    return _read(spark, f"{folder}/content", "chunk", "n_ids long, digest binary, codec int, payload binary")
 
 
 def _shard_roots(recipes: DataFrame) -> DataFrame:
-    """Merkle roots of the shards. A shard's rows are its own range of documents, so a group holds 1/shards of the recipes' 16-byte roots."""
+    """Merkle roots of the shards. A shard's rows are its own range of documents, so a group holds the 16-byte roots of about SHARD of them."""
 
     def root(key, table):
         ordered = table.sort_by("place")
@@ -305,8 +297,7 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     whole = recipes.select("place", "n_tokens", "root").join(parts, "place").mapInArrow(_join_crcs, DIGEST_DDL)
     shards = spark.read.parquet(f"{folder}/manifest").select("shard", F.col("start").alias("shard_start"))
     before = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    # the manifest has one row for each shard, no more than there are shuffle partitions
-    placed = recipes.select("doc_id", "n_tokens", "shard", "place").join(F.broadcast(shards), "shard").withColumn("start", F.col("shard_start") + before)
+    placed = recipes.select("doc_id", "n_tokens", "shard", "place").join(shards, "shard").withColumn("start", F.col("shard_start") + before)
     return placed.join(whole, "place").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
