@@ -4,7 +4,9 @@ A rule compares a measure with a share of another one, in whole numbers: it fail
 `percent * base`. All measures come from the whole text, row by row; there is no shuffle and no user function.
 
 Defined results: null text counts as empty: no words, so it fails the length rule. Rows are independent: repeated rows, null or
-repeated doc_ids and extra columns change nothing, and a column of the input that has the name of a measure is not read.
+repeated doc_ids and extra columns change nothing, and a column of the input that has the name of a measure is not read. An empty table
+gives none. A text is measured whole, however long; its task then holds its words, lines and window hashes. Windows of three words are
+told apart by 64-bit hashes: of the m windows of one text, two different ones clash with a chance of m*m/2^65.
 """
 
 from __future__ import annotations

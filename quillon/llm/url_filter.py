@@ -2,16 +2,18 @@
 
 A rule of host H and path P covers H, all its subdomains, and every path that begins with P. With the host's labels reversed, the
 canonical key `reversed host / path` of a rule is a prefix of the keys of the urls that it covers, so a rule is the interval of keys
-from its own key up to that key followed by byte 0xFF, which no UTF-8 text contains. A url takes part once for each of its host's
-domains that has rules. Rules that share a host are nested or apart, so one pass over starts, ends and urls in key order keeps the
-open rules as a stack: a start puts its rule at its depth, an end lowers the depth, and a url reads the top.
+from its own key up to that key followed by byte 0xFF, which no UTF-8 text contains. Rules that share a host are nested or apart, so one
+pass over starts, ends and urls in key order keeps the open rules as a stack: a start puts its rule at its depth, an end lowers the
+depth, and a url reads the top. The stack nests paths; hosts nest otherwise: a url takes part once for each domain of its host that has
+rules, found by an equality of reversed hosts, and the longest of what its domains say wins.
 
-The sweep runs for each domain with rules; a domain with many urls is split into several sweeps, each with all of the domain's rules.
-Everything is built-in functions. Texts of pages are not read.
+The sweep runs for each domain with rules; a domain with many urls is split into several sweeps, each with all of the domain's rules, so
+a domain of many rules and many urls sends its rules once for SWEEP_ROWS urls. Everything is built-in functions. Texts of pages are not read.
 
 Defined results: a null url, or one without `://`, has empty host and path; where no rule fits, rule is null and the verdict is the
 default. The longest rule wins by its length in characters, then by its host's; of rules with the same host and path block wins over allow.
-Repeated rows and null page_ids stay as they are; extra columns are ignored; an empty table, or no rules, gives what follows from that.
+Repeated rows and null page_ids stay as they are; extra columns are ignored; a url is taken whole, however long; an empty table, or no
+rules, gives what follows from that.
 """
 
 from __future__ import annotations
