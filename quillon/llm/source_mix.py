@@ -1,16 +1,18 @@
 """Mixing sources to target weights.
 
-Within each source, documents get a key from a hash of their id and are sorted by it. Prefix sums of their sizes over that order place
+Within each source, documents get a key from a hash of their id and text and are sorted by it. Prefix sums of their sizes over that order place
 each document on a line as long as its source; the source's budget cuts the line, after going round it once for every whole time that
-it fits. The sums are distributed: the leading digits of the key divide a source into ranges, the ranges' totals are summed in order,
-and each range adds its own running sum. Only totals of ranges and sources meet in windows, never the documents of a hot source.
+it fits. The sums are distributed: the leading digits of the key divide a source into ranges, and half of these digits into wide ranges;
+totals of wide ranges are summed in order, then those of the ranges in each, and each range adds its own running sum. Only totals of
+ranges and sources meet in windows, never the documents of a hot source. One row for each source meets in one task.
 
 Sources in code point order, null last, weigh 1, 2, 3 and so on in turn. All targets together are all sizes; no target exceeds three
 times its source's size, and what that leaves goes to the others by weight.
 
-Defined results: null text has size 0 and takes nothing; a null source is a source; an empty table gives an empty mix. Rows with equal
-ids have equal keys and are ordered by size, so repeated rows share what falls to them in a fixed way. Extra columns are ignored by `mix`
-and kept by `mixed_rows`.
+Defined results: null text has size 0 and takes nothing; a null source is a source; an empty table gives an empty mix; a text is
+counted whole, however long. Rows with equal id and text have equal keys: what falls to them is shared in a fixed way, the first taking
+all before the next. Rows with equal or null ids and different texts have keys of their own. Extra columns are ignored by `mix` and kept
+by `mixed_rows`, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def _keyed(docs: DataFrame, *extra: Column) -> DataFrame:
         doc_id.cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("v"), F.col("source").cast("string")), F.lit("n")).alias("_source"),
         word_count(text_of()).alias("size"),
-        F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")).alias("_key"),
+        F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(text_of().cast("binary"))).cast("binary")).alias("_key"),
         *extra,
     )
 
@@ -70,9 +72,14 @@ def _taken(keyed: DataFrame, extra: list[str]) -> DataFrame:
     largest = totals.agg(F.max("_rows")).first()[0] or 1
     digits = min(12, max(2, math.ceil(math.log(max(1, largest / RANGE_ROWS), 16))))
     rows = keyed.withColumn("_range", F.substring("_key", 1, digits))
-    ranges = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_size"))
-    start = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ranges.select("_source", "_range", start.alias("_start")).join(budgets(totals.drop("_rows")), "_source")
+    ranges = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_size")).withColumn("_wide", F.substring("_range", 1, digits // 2))
+
+    def before(total: str, order: str, *within: str) -> Column:
+        return F.coalesce(F.sum(total).over(Window.partitionBy("_source", *within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    wide = ranges.groupBy("_source", "_wide").agg(F.sum("_size").alias("_sum")).select("_source", "_wide", before("_sum", "_wide").alias("_ahead"))
+    placed = ranges.select("_source", "_wide", "_range", before("_size", "_range", "_wide").alias("_start")).join(wide, ["_source", "_wide"])
+    starts = placed.select("_source", "_range", (F.col("_start") + F.col("_ahead")).alias("_start")).join(budgets(totals.drop("_rows")), "_source")
     inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_before", F.sum("size").over(inside) - F.col("size")).join(starts, ["_source", "_range"])
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_start") - F.col("_before")))
@@ -112,7 +119,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+                  md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(sum(size)) OVER ()::BIGINT AS total FROM d GROUP BY source),
 w AS (SELECT *, (((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1)::DOUBLE AS weight, {MOST_EPOCHS} * source_size AS lim FROM s),
 l AS (SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
