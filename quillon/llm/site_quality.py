@@ -4,14 +4,16 @@
    sample's own odds, its logit is the document's evidence.
 2. Over all documents, grouped sums of the probabilities give each host and each path of a host a mean. Hosts are shrunk toward the
    global mean and paths toward their host, by prior strengths that come from the spread of the means (method of moments): a site of few
-   documents is near what it belongs to, one of many near its own mean.
+   documents is near what it belongs to, one of many near its own mean. From the sums of its host and of its path a document's own part is
+   taken out, so that its evidence counts once; the only document of a path has its host's posterior, the only one of a host the global mean.
 3. The document's score joins its evidence to the log odds of its path.
 
 `host` and `path` are any two columns; for `documents` they are source and lang. Sums are of whole millionths, so reruns agree.
 
 Defined results: a text without words scores 0 and isn't kept; without labels of both kinds the evidence is 0 and all other texts are
-kept. Null hosts and paths are groups of their own. Labels that are null, or of unknown documents, are passed over. Repeated rows count
-each time and get equal results; extra columns are ignored; an empty table gives none.
+kept. Null hosts and paths are groups of their own. Labels that are null, or of unknown documents, are passed over. The verdict of a score
+of exactly `least` is to keep; scores are not ranked, so ties need no rule. Repeated rows count each time and get equal results; texts are
+measured whole, however long; extra columns are ignored, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -77,11 +79,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
     return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum()), float(np.log(good / (1 - good)))
 
 
-def _strength(between: float, mean: float, groups: int, n: int) -> float:
-    """Documents that the prior weighs: binomial variance over what the means vary beyond it."""
-    own = mean * (1 - mean)
-    extra = between - own * max(0, groups - 1) / max(1, n)
-    return float(np.clip(own / extra - 1, WEAKEST, STRONGEST)) if extra > 0 else STRONGEST
+def strength(between: float, within: float, groups: int, n: int) -> float:
+    """Documents that the prior weighs: the variance of a single document over what the means vary beyond what it explains."""
+    extra = between - within * max(0, groups - 1) / max(1, n)
+    return float(np.clip(within / extra - 1, WEAKEST, STRONGEST)) if extra > 0 else STRONGEST
 
 
 def _odds(p: Column) -> Column:
@@ -93,7 +94,10 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """doc_id, classifier (the document's own probability), host_quality, path_quality, score and kept of every document."""
     rows = stored(features(docs, host, path), "site-features")
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y")).where("y IN (0, 1)")
-    sample = known.join(rows, F.col("_id") == F.col("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE).select("y", *FEATURES).toPandas()
+    # of many labels, a share by hash comes near the sample before anything is sorted
+    share = min(1.0, 1.2 * SAMPLE / max(1, known.count()))
+    near = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = near.join(rows, F.col("_id") == F.col("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "y", *FEATURES).limit(SAMPLE).select("y", *FEATURES).toPandas()
     trained = sample["y"].nunique() == 2
     weights, constant, prior = fit(sample[FEATURES].to_numpy(float), sample["y"].to_numpy(float)) if trained else (np.zeros(len(FEATURES)), 0.0, 0.0)
     logit = F.lit(constant)
@@ -101,19 +105,25 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         logit = logit + F.lit(w) * F.col(name)
     logit = F.when(F.col("n_words") > 0, F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))).otherwise(F.lit(-30.0))
     own = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))
-    scored = rows.select("doc_id", "host", "path", "n_words", logit.alias("logit")).withColumn("classifier", own)
-    paths = stored(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("classifier") * MILLION).cast("long")).alias("s")), "site-paths")
+    scored = rows.select("doc_id", "host", "path", "n_words", logit.alias("logit")).withColumn("classifier", own).withColumn("part", F.round(F.col("classifier") * MILLION).cast("long"))
+    paths = stored(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("s")), "site-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count(F.lit(1)).alias("groups")).first()
     n, mean = total["n"] or 0, (total["s"] or 0) / MILLION / max(1, total["n"] or 0)
-    spread = hosts.agg(F.sum(F.round(F.col("hn") * (F.col("hs") / MILLION / F.col("hn") - mean) ** 2 * MILLION).cast("long"))).first()[0] or 0
-    k_host = _strength(spread / MILLION / max(1, n), mean, total["groups"], n)
-    host_quality = (F.col("hs") / MILLION + k_host * mean) / (F.col("hn") + k_host)
-    below = paths.join(hosts, "host").withColumn("host_quality", host_quality)
-    inner = below.agg(F.sum(F.round(F.col("n") * (F.col("s") / MILLION / F.col("n") - F.col("host_quality")) ** 2 * MILLION).cast("long")), F.count(F.lit(1))).first()
-    k_path = _strength((inner[0] or 0) / MILLION / max(1, n), mean, inner[1], n)
-    sites = below.select("host", "path", "host_quality", ((F.col("s") / MILLION + k_path * F.col("host_quality")) / (F.col("n") + k_path)).alias("path_quality"))
-    joined = scored.join(sites, ["host", "path"])
+
+    def millionths(x: Column) -> Column:
+        return F.sum(F.round(x * MILLION).cast("long"))
+
+    spread = hosts.agg(millionths(F.col("hn") * (F.col("hs") / MILLION / F.col("hn") - mean) ** 2)).first()[0] or 0
+    k_host = strength(spread / MILLION / max(1, n), mean * (1 - mean), total["groups"], n)
+    sites = stored(paths.join(hosts, "host"), "site-sums")
+    host_mean, path_mean = F.col("hs") / MILLION / F.col("hn"), F.col("s") / MILLION / F.col("n")
+    inner = sites.agg(millionths(F.col("n") * (path_mean - host_mean) ** 2), millionths(F.col("n") * host_mean * (1 - host_mean)), F.count(F.lit(1))).first()
+    # paths vary about their hosts, so it is their hosts' variance that says what chance explains
+    k_path = strength((inner[0] or 0) / MILLION / max(1, n), (inner[1] or 0) / MILLION / max(1, n), inner[2] - total["groups"] + 1, n)
+    host_quality = ((F.col("hs") - F.col("part")) / MILLION + k_host * mean) / (F.col("hn") - 1 + k_host)
+    path_quality = ((F.col("s") - F.col("part")) / MILLION + k_path * F.col("host_quality")) / (F.col("n") - 1 + k_path)
+    joined = scored.join(sites, ["host", "path"]).withColumn("host_quality", host_quality).withColumn("path_quality", path_quality)
     evidence = F.col("logit") - F.lit(prior) + _odds(F.col("path_quality"))
     score = F.when(F.col("n_words") > 0, F.lit(1.0) / (F.lit(1.0) + F.exp(-evidence)) if trained else F.lit(0.5)).otherwise(F.lit(0.0))
     return joined.select("doc_id", "classifier", "host_quality", "path_quality", score.alias("score")).withColumn("kept", F.col("score") >= least)
