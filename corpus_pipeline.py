@@ -2,6 +2,12 @@
 
 Each stage takes what the one before it left, as a table with the columns of `documents`, and its decisions take effect: rows go, texts
 lose what repeats, rows come as often as the mix takes them. The last stage encodes, and decodes what it encoded.
+
+Defined results: a null or empty text, or one of less than 50 words, fails the quality rules and is gone after the first stage. Rows with
+null or equal doc_ids are told apart by their rows in the near-duplicate stage and by their texts in the next; of equal texts one row
+stays. What the mix repeats keeps its doc_id, so the last stage may return several rows of one. Ties go to the smaller doc_id, null last,
+then to the smaller hash of the text. Columns beyond those of `documents` are carried along, whatever their names, up to the last stage.
+Texts are taken whole, however long. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe_codec, minhash_dedup, quality_rules, source_mix, suffix_dedup
-from quillon.llm.common import documents, stored
+from quillon.llm.common import discard, documents, stored
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
-    return bpe_codec.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """doc_id, n_tokens, the digests of the ids and of the text decoded from them, and the ids."""
+    return bpe_codec.encoded_corpus(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -53,8 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents; each is written and read again before the next."""
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{i}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
