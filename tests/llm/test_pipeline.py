@@ -1,5 +1,7 @@
 """The pipeline's stages one after another, each against brute force on what the stage before it left."""
 
+import random
+
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,6 +46,24 @@ def test_stages(spark):
     library, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
     for r in mixed.collect():
         ids = library.encode(r.text, add_special_tokens=False).ids
-        out.append((r.doc_id, len(ids), brute.sha(" ".join(map(str, ids)).encode()), brute.sha(library.decode(ids, skip_special_tokens=False).encode())))
+        out.append((r.doc_id, len(ids), brute.sha(" ".join(map(str, ids)).encode()), brute.sha(library.decode(ids, skip_special_tokens=False).encode()), ids))
     assert coded == sorted(out)
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == coded
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, equal and null ids, and columns of clashing names; and an empty table."""
+    rng = random.Random(12)
+    prose = [" ".join(rng.choice("the of and to a word text line other more with some kind as from by".split()) + rng.choice(["", "", f"{rng.randrange(99)}"]) for _ in range(90)) for _ in range(12)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), "x", i, "y") for i, t in enumerate(prose)]
+    rows += [rows[2], rows[2], (2, prose[3], None, None, None, None, None, None), (None, prose[4] + " tail", "en", "s1", 5, "x", 1, "y"), (None, None, None, None, None, None, None, None), (99, "", "en", "s0", 0, "x", 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string, _gone long, `_in_1` string")
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stored(stage(spark, at, ""), "t")
+        assert at.columns == docs.columns, name
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()]
+    assert set(ids) <= set(range(12)) and len(set(ids)) == 12
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
