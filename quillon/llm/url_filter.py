@@ -7,8 +7,9 @@ pass over starts, ends and urls in key order keeps the open rules as a stack: a
 depth, and a url reads the top. The stack nests paths; hosts nest otherwise: a url takes part once for each domain of its host that has
 rules, found by an equality of reversed hosts, and the longest of what its domains say wins.
 
-The sweep runs for each domain with rules; a domain with many urls is split into several sweeps, each with all of the domain's rules, so
-a domain of many rules and many urls sends its rules once for SWEEP_ROWS urls. Everything is built-in functions. Texts of pages are not read.
+Starts, ends and urls are ranged by domain and key into parts of about SWEEP_ROWS; equal urls part by row number. A part is swept on its
+own: its stack begins with the rules that are open at its border, which are those whose keys are prefixes of the border's key, found by
+equality. So a rule is sent once, and once more for each border that it covers. Everything is built-in functions. Texts of pages are not read.
 
 Defined results: a null url, or one without `://`, has empty host and path; where no rule fits, rule is null and the verdict is the
 default. The longest rule wins by its length in characters, then by its host's; of rules with the same host and path block wins over allow.
@@ -21,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
-#: Urls of a domain that one sweep takes, about.
-SWEEP_ROWS = 50_000
+#: Events of a part that one sweep takes, about.
+SWEEP_ROWS = 20_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the registered query.
@@ -77,15 +78,21 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         return plain.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     levels = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.array_join(F.slice(_reversed(F.col("host")), F.lit(1), i), "."))
-    points = slim.withColumn("_domain", F.explode(levels))
-    sizes = points.groupBy("_domain").agg(F.ceil(F.count(F.lit(1)) / F.lit(SWEEP_ROWS)).alias("_sweeps"))
-    domains = stored(ours.select("_domain").distinct().join(sizes, "_domain"), "url-domains")
-    urls = points.join(domains, "_domain").select(
-        "_domain", F.pmod(F.xxhash64("_row"), F.col("_sweeps")).alias("_sweep"), _key(F.col("_domain"), F.col("path")).alias("_at"), F.lit(1).alias("_kind"), "_row"
-    )
-    spread = edges.join(domains, "_domain").withColumn("_sweep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sweeps") - 1))).drop("_sweeps")
-    events = _steps(urls.unionByName(spread, allowMissingColumns=True), ["_domain", "_sweep"])
-    order = Window.partitionBy("_domain", "_sweep").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    urls = slim.withColumn("_domain", F.explode(levels)).join(ours.select("_domain").distinct(), "_domain", "left_semi")
+    urls = urls.select("_domain", _key(F.col("_domain"), F.col("path")).alias("_at"), F.lit(1).alias("_kind"), "_row")
+    found = stored(urls.unionByName(edges, allowMissingColumns=True), "url-events")
+    parts = -(-found.count() // SWEEP_ROWS)
+    ranged = stored(found.repartitionByRange(parts, "_domain", "_at", "_kind", "_row").withColumn("_part", F.spark_partition_id()), "url-parts")
+    discard(found)
+    # the rules that are open where a part begins: their keys are prefixes of its first key, and started before it
+    first = ranged.groupBy("_part").agg(F.min(F.struct("_domain", "_at", "_kind")).alias("b")).select("_part", "b.*")
+    longest = F.least(F.length("_at"), F.lit(ours.agg(F.max(F.length("_at"))).first()[0]))
+    prefixes = first.select("_part", "_domain", F.col("_at").alias("_first"), F.col("_kind").alias("_first_kind"), F.explode(F.sequence(F.lit(1), longest)).alias("_n"))
+    prefixes = prefixes.withColumn("_at", F.expr("substring(_first, 1, _n)")).where("NOT (_at = _first AND _first_kind = 0)")
+    seeds = prefixes.join(opened, ["_domain", "_at"]).select("_part", "_domain", "_at", "_kind", "_rule")
+    group = ["_part", "_domain"]
+    events = _steps(ranged.unionByName(seeds, allowMissingColumns=True), group)
+    order = Window.partitionBy(*group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stack = F.array(*[F.last(F.when((F.col("_kind") == 0) & (F.col("_depth") == d), F.col("_rule")), ignorenulls=True).over(order) for d in range(1, nesting + 1)])
     hits = events.select("_row", "_kind", F.when(F.col("_depth") > 0, F.get(stack, F.col("_depth") - 1)).alias("_top")).where("_kind = 1 AND _top IS NOT NULL")
     best = hits.groupBy("_row").agg(F.max("_top").alias("_best"))
