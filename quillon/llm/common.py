@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,9 +52,24 @@ def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFr
     df.write.partitionBy(*partition_by).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
+    if (made := _gathering.get()) is not None:
+        made.append(back)
     return back
 
 
+_gathering: ContextVar[list[DataFrame] | None] = ContextVar("gathering", default=None)
+
+
+@contextmanager
+def gathered() -> Iterator[list[DataFrame]]:
+    """The frames that `stored` gives inside, so that those which no result needs any more can be discarded."""
+    token = _gathering.set(made := [])
+    try:
+        yield made
+    finally:
+        _gathering.reset(token)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what `stored` wrote for these frames. Nothing that is still to be computed may read them; other frames are passed over."""
     for df in frames:
