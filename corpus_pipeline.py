@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe_codec, minhash_dedup, quality_rules, source_mix, suffix_dedup
-from quillon.llm.common import discard, documents, stored
+from quillon.llm.common import discard, documents, gathered, stored
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents; each is written and read again before the next."""
+    """All stages over all documents; each is written and read again before the next, and tables that are done with are deleted."""
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{i}")
-        discard(before)
+        with gathered() as made:
+            before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{i}")
+        # what the stage kept on the way goes, and so does its input, now that its result is written
+        discard(before, *(m for m in made if m is not docs))
     return STAGES[-1][1](spark, docs, sf_dir)
