@@ -29,7 +29,7 @@ from .common import ship, text_of
 from .wordcache import BoundedCache, TextEncoder, held, slices
 
 #: Bytes that a worker's table of compatibility tests takes, about.
-PAIRS = 32 << 20
+PAIRS = 16 << 20
 _END = "\x00"
 
 
@@ -56,6 +56,7 @@ class Vocabulary:
                 text = token[: -len(self.suffix)] + _END if self.suffix and token.endswith(self.suffix) else token
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
+        self.spines.clear()  # of most tokens they are not needed again
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of a token while it is built, and the rank of the merge that ends each one's time there."""
@@ -128,11 +129,10 @@ class Codec(TextEncoder):
 
     The library is used for normalizing and splitting pieces with characters beyond the checked range, never for encoding."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        if self.spec.get("decoder") is not None or self.spec.get("post_processor") is not None:
+    def prepare(self, spec: dict) -> None:
+        if spec.get("decoder") is not None or spec.get("post_processor") is not None:
             raise ValueError("this codec decodes by joining tokens with a space, and adds none")
-        self.vocabulary = Vocabulary(self.spec["model"])
+        self.vocabulary = Vocabulary(spec["model"])
         tokens = {i: t for t, i in {**self.vocabulary.ids, **self.specials}.items()}
         every = range(max(tokens) + 1)
         self.known = np.array([i in tokens for i in every])

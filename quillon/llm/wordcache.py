@@ -18,6 +18,8 @@ import gc
 import json
 import os
 import re
+import threading
+import time
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -107,6 +109,7 @@ def class_borders(texts: pa.Array, data: np.ndarray, ends: np.ndarray, specials:
 def pieces(texts: pa.Array, table: np.ndarray | None = BLANKS, leading: bool = False, specials: Iterable[str] | None = None, digits_apart: bool = True) -> Pieces:
     """Texts without nulls, their bytes mapped by `table`, cut at spaces; where `specials` are given, at class borders too. The space that
     ends a piece is not part of it; with `leading`, the space that begins one is. Pieces may be empty."""
+    touch()
     data, ends = bytes_of(texts)
     if table is not None:
         data = table[data]
@@ -143,20 +146,45 @@ def load(path: str) -> Tokenizer:
 
 
 _holding: dict[tuple, object] = {}
+_used = {"at": 0.0, "watch": 0}
+#: Seconds after which a worker that is not used gives its tables back.
+IDLE = 5.0
+
+
+def _give_back() -> None:
+    """Drop all tables, and return what the process has freed to the system."""
+    _holding.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _watch() -> None:
+    while True:
+        time.sleep(IDLE / 2)
+        if _holding and time.monotonic() - _used["at"] > IDLE:
+            _give_back()
+
+
+def touch() -> None:
+    """The tables are in use."""
+    _used["at"] = time.monotonic()
 
 
 def held(key: tuple, make: Callable[[], object]) -> object:
-    """The tables of an operator in this worker. Those of any other operator, from an earlier task, are given back first."""
-    if key not in _holding:
-        _holding.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
-        _holding[key] = make()
-    return _holding[key]
+    """The tables of an operator in this worker. Those of any other operator, from an earlier task, are given back first, and all are once
+    the worker has been idle for a while: Spark keeps idle workers beside the stages that need no Python."""
+    touch()
+    if _used["watch"] != os.getpid():  # a thread does not outlive a fork
+        _used["watch"] = os.getpid()
+        threading.Thread(target=_watch, daemon=True).start()
+    if (found := _holding.get(key)) is None:
+        _give_back()
+        found = _holding[key] = make()
+    return found
 
 
 class WordSplitter:
@@ -309,15 +337,19 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self.library = load(path)
-        self.spec = json.loads(self.library.to_str())
-        split = next(x for x in self.spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.specials = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
+        spec = json.loads(self.library.to_str())
+        split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.splitter = WordSplitter(self.library, split["pattern"]["Regex"], list(self.specials))
         self.wide = self.library.get_vocab_size(True) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.words = BoundedCache(self.ids_of_word, WORDS)
         self.short = PieceTable(self._piece, self.kind)
         self.long = BoundedCache(self._piece, WORDS)
+        self.prepare(spec)
+
+    def prepare(self, spec: dict) -> None:
+        """What a subclass takes from the vocabulary's file."""
 
     def ids_of_word(self, word: str) -> list[int]:
         raise NotImplementedError
